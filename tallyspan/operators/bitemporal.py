@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspan.operators.cogrouped import by_bucket
 from tallyspan.session import buckets_for
 
 # A node is (key, priority, value, left, right); the priority is a hash of the key, which balances the tree.
@@ -118,10 +119,8 @@ def as_known(versions: DataFrame, asked: DataFrame, *, exact: bool, rows: int) -
     known or valid can't be known and are left out. Entities are spread over hash buckets of bounded size.
     """
     n = buckets_for(versions.sparkSession, rows)
-    bucket = F.pmod(F.xxhash64("entity"), F.lit(n)).alias("bucket")
-    whole = lambda d, last: d.where("entity is not null and known is not null and valid is not null").select(bucket, "entity", "known", "valid", last)
-    left, right = whole(versions, "value").groupBy("bucket"), whole(asked, "ask").groupBy("bucket")
-    return left.cogroup(right).applyInArrow(_search(exact), "ask long, valid long, value long")
+    whole = lambda d, last: d.where("entity is not null and known is not null and valid is not null").select("entity", "known", "valid", last)
+    return by_bucket(whole(versions, "value"), whole(asked, "ask"), F.col("entity"), F.col("entity"), n, _search(exact), "ask long, valid long, value long")
 
 
 def _micros(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.operators import bitemporal, reject
+from tallyspan.operators import bitemporal, differences, reject
 from tallyspan.sources.tables import table
 
 _RUN_KEYS = ["load_run_id", "line_no"]
@@ -34,11 +34,25 @@ def p1_loaded_mdabbert(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf)[0].loaded(_RUN_KEYS, "mdabbert")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return differences.bout_differences(table(spark, sf, "mdabbert_rows"), table(spark, sf, "fight_refs"), table(spark, sf, "fighters"), table(spark, sf, "verified_disagreements"))
+
+
+def p2_order_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Two copies of orders, one of which lost, gained and changed rows, compared cell by cell."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    cents = orders.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long"))
+    other = cents.withColumn("o_orderstatus", F.when(F.col("o_totalprice") % 7 == 0, None).otherwise(F.col("o_orderstatus"))).withColumn("o_orderpriority", F.when(F.col("o_totalprice") % 11 == 0, "9-NONE").otherwise(F.col("o_orderpriority")))
+    other = other.withColumn("o_orderkey", F.when(F.col("o_totalprice") % 13 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")))
+    out = differences.differences(cents, other, "o_orderkey", ["o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return out.withColumnRenamed("key", "o_orderkey")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return bitemporal.rank_as_known(table(spark, sf, "fight_features"), table(spark, sf, "fights"), table(spark, sf, "fight_events"), table(spark, sf, "rankings"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rejected": p1_rejected, "p1_run_counts": p1_run_counts, "p1_loaded_mdabbert": p1_loaded_mdabbert, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_rejected": p1_rejected, "p1_run_counts": p1_run_counts, "p1_loaded_mdabbert": p1_loaded_mdabbert, "p2_found": p2_found, "p2_order_copies": p2_order_copies, "p6_found": p6_found}
 
 _P1_CTE = r"""
 WITH base AS (
@@ -88,6 +102,15 @@ FROM base b LEFT JOIN rejected r ON r.load_run_id = b.load_run_id AND r.line_no
     "p1_loaded_mdabbert": _P1_CTE
     + """SELECT load_run_id, line_no, fields[1] AS red_name, fields[2] AS blue_name, fields[3] AS bout_date, fields[4] AS red_odds, fields[5] AS blue_odds, fields[6] AS winner, fields[7] AS weight_class
 FROM cut WHERE source = 'mdabbert' AND (load_run_id, line_no) NOT IN (SELECT (load_run_id, line_no) FROM rejected)""",
+    "p2_order_copies": """
+WITH l AS (SELECT o_orderkey, o_orderstatus, round(o_totalprice * 100)::BIGINT AS p, o_orderpriority FROM orders),
+r AS (SELECT CASE WHEN p % 13 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN p % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, p,
+  CASE WHEN p % 11 = 0 THEN '9-NONE' ELSE o_orderpriority END AS o_orderpriority FROM l)
+SELECT o_orderkey, 'missing_right' AS field, NULL AS left_value, NULL AS right_value FROM l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM r)
+UNION ALL SELECT o_orderkey, 'missing_left', NULL, NULL FROM r WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l)
+UNION ALL SELECT o_orderkey, 'o_orderstatus', l.o_orderstatus, r.o_orderstatus FROM l JOIN r USING (o_orderkey) WHERE l.o_orderstatus IS DISTINCT FROM r.o_orderstatus
+UNION ALL SELECT o_orderkey, 'o_totalprice', l.p::VARCHAR, r.p::VARCHAR FROM l JOIN r USING (o_orderkey) WHERE l.p IS DISTINCT FROM r.p
+UNION ALL SELECT o_orderkey, 'o_orderpriority', l.o_orderpriority, r.o_orderpriority FROM l JOIN r USING (o_orderkey) WHERE l.o_orderpriority IS DISTINCT FROM r.o_orderpriority""",
     "p6_found": """
 WITH bouts AS (
   SELECT DISTINCT ff.fight_id, ff.fighter_id, ff.weight_class, e.circuit_id, e.event_date AS day
