@@ -23,5 +23,5 @@ def by_bucket(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets))
     a = left.select(*(F.col(c).alias(c) for c in left.columns), bucket(left_key).alias("_bucket"))
     b = right.select(*(F.col(c).alias(c) for c in right.columns), bucket(right_key).alias("_bucket"))
-    sa, sb = to_arrow_schema(a.schema, timezone="UTC"), to_arrow_schema(b.schema, timezone="UTC")
+    sa, sb = to_arrow_schema(a.schema), to_arrow_schema(b.schema)
     return a.groupBy("_bucket").cogroup(b.groupBy("_bucket")).applyInArrow(lambda x, y: run(_whole(x, sa), _whole(y, sb)), schema)
