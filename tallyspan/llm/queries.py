@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import pack, survive, tokenize
+from tallyspan.llm import pack, survive, tokenize, variants
 from tallyspan.session import stored
 from tallyspan.sources.tables import table
 
@@ -15,6 +15,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return survive.surviving_bouts(table(spark, sf, "fights"), table(spark, sf, "fight_events"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    typed = table(spark, sf, "mdabbert_rows", "row_id", "fight_id", "red_name", "blue_name", "bout_date").where("fight_id is null")
+    return variants.linked_names(typed, table(spark, sf, "aliases"), table(spark, sf, "fighters"), table(spark, sf, "fights"), table(spark, sf, "fight_events"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -24,7 +29,7 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack.pack(stored(sizes, "sizes"), "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 ORACLE = {
     "p4_found": """
