@@ -24,7 +24,7 @@ GIVEN_NAMES = (
     "andre andrew andrei andrey andreas andy dede", "anthony anton antonio antonie tony toni tonho toninho", "aylin ayla", "benjamin ben benny benji", "bjorn bjoern", "caio cayo", "chiara clara",
     "christopher chris kit kris topher", "daniel dan danny dani danilo", "david dave davi davey", "dmitri dmitry dmitriy dimitri dima mitya", "edward ed eddie eddy ned ted teddy", "elizabeth beth betsy betty eliza elisabeth libby liz liza lizzie lizzy",
     "etienne stephane steve", "francisco chico cisco francis frank paco pancho kiko", "frederick fred freddie freddy fritz rick", "gabriela gabi gabriella gaby", "gregory greg gregor grisha", "guillermo billy guille memo will willy",
-    "hye-jin hyejin", "ignacio iggy nacho", "ines agnes inez", "isabella bella belle isa isabel izzy", "ivan vanya vania", "jana janka", "jennifer jen jenna jenni jennie jenny", "jiri george jirka", "joao joaozinho", "jose josef joseph joe joey pepe ze zezinho", "karim kareem",
+    "hye-jin hyejin", "ignacio iggy nacho", "ines agnes inez", "isabella bela bella belle isa isabel izzy", "ivan vanya vania", "jana janka", "jennifer jen jenna jenni jennie jenny", "jiri george jirka", "joao joaozinho", "jose josef joseph joe joey pepe ze zezinho", "karim kareem",
     "katarzyna kasia kate katherine katie kathy", "kenji ken", "larissa lara lari", "leonardo leo leon", "louis lou luis", "luca lucas luka lukas luke", "lukasz lucas lukas luka luke", "magnus mans", "marcos marc marco marcus mark marquinhos", "marek mark", "margaret greta madge maggie marge margie meg meggie peg peggy", "matthew mat matt mateo matteo matthias matty",
     "maximilian max maxi maxim", "michael mick mickey mike mikey mikael michal", "mikhail michail mikhael misha mischa", "monica monika moni", "nadia nadja nadya nadezhda", "nicholas nic nick nicky nico nicolas nik nikolai niko", "nils niels", "patrick paddy pat patricio",
     "pawel paul pavel", "remi remy", "renato rene", "renee rene reni", "robert bob bobbie bobby rob robbie robby robin", "rustam rus", "samuel sam sammy", "sebastian bas seb", "sofia sophia sophie sonia sonya sofi", "soren soeren", "stefan stephan stephen steph stef steve steven stevie", "tatiana tanya tania tati",
@@ -152,8 +152,9 @@ def similarity(typed: str | None, held: str | None) -> float:
             whole = 0.85
     left = list(range(len(cb)))
     got = 0.0
-    family = cb[-1]
-    family_hit, long_hits = 0.0, 0
+    # The family name stands last, unless only the last word is a usual given name.
+    family = 0 if len(cb) > 1 and cb[-1] in _GIVEN and cb[0] not in _GIVEN else len(cb) - 1
+    family_hit, dropped = 0.0, 0.0
     for x in sorted(ca, key=len, reverse=True):
         best, at = 0.0, -1
         for j in left:
@@ -163,22 +164,25 @@ def similarity(typed: str | None, held: str | None) -> float:
         if at >= 0:
             left.remove(at)
             got += best
-            long_hits += len(x) > 1
-            if at == len(cb) - 1:
+            if at == family:
                 family_hit = best if len(x) > 1 else 0.3
+            elif at and x == ca[-1] and len(ca) > 1 and len(x) >= 4:
+                dropped = best  # the last word typed is an earlier family name of a double one
     if family_hit == 0.0 and len(ca) < len(cb) + 1:
         glued = "".join(cb)
         for x in ca:
             if len(x) >= 6 and x in (glued, glued[::-1]):
                 family_hit = 0.9
     need = min(len(ca), len(cb))
+    if family_hit == 0.0 and len(ca) < len(cb) and got >= 0.9 * len(ca):
+        family_hit = dropped
     score = got / max(need, 1) if need else 0.0
     extra = len(ca) - (len(cb) - len(left))
     score -= 0.2 * max(0, extra) + 0.03 * len(left)
-    if family_hit < 0.7:
+    if family_hit < 0.7 and need > 1:
         score = min(score, 0.5 * score + 0.2 * family_hit)
     if need == 1 and len(cb) > 1:
-        score = min(score, 0.8)
+        score = min(score, 0.8 if family_hit >= 0.7 else 0.55 if got >= 0.9 else 0.0)
     score = max(score, whole)
     if sa != sb:
         score -= 0.06
