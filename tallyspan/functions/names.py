@@ -206,10 +206,10 @@ _FROM, _TO = _latin_table()
 
 def fold_column(name: Column) -> Column:
     """Lower case, Latin marks removed, hyphens as blanks, only ``[a-z0-9 ]`` kept, blanks squashed (JVM only)."""
-    text = F.lower(name)
+    text = F.lower(F.regexp_replace(name, r"[\s\p{Z}]+", " "))
     for letter, plain in SPECIAL_LETTERS.items():
         if len(plain) > 1:
             text = F.replace(text, F.lit(letter), F.lit(plain))
     text = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", "")
-    text = F.regexp_replace(F.regexp_replace(text, "-", " "), r"[^a-z0-9\s]", "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(F.regexp_replace(text, "-", " "), r"[^a-z0-9 ]", "")
+    return F.trim(F.regexp_replace(text, " +", " "))
