@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import pack, survive, tokenize, variants
+from tallyspan.llm import crossmatch, pack, survive, tokenize, variants
 from tallyspan.session import stored
 from tallyspan.sources.tables import table
 
 CAPACITY = 2048
 
 
+def p3_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs with their confidence."""
+    typed = table(spark, sf, "mdabbert_rows", "row_id", "fight_id", "red_name", "blue_name", "bout_date", "red_odds", "blue_odds")
+    feed = table(spark, sf, "feed_rows", "feed_id", "fight_url", "name_1", "name_2", "odds_1", "odds_2", "event_date")
+    return crossmatch.matched_prices(typed, feed, table(spark, sf, "fights", "id", "ufcstats_id"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_matches(spark, sf).select("row_id", "feed_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return survive.surviving_bouts(table(spark, sf, "fights"), table(spark, sf, "fight_events"))
 
@@ -29,7 +40,7 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack.pack(stored(sizes, "sizes"), "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 ORACLE = {
     "p4_found": """
