@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.llm import crossmatch, pack, survive, tokenize, variants
+from tallyspan.llm import abuse, crossmatch, pack, survive, tokenize, variants
 from tallyspan.session import stored
 from tallyspan.sources.tables import table
 
@@ -40,7 +40,21 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack.pack(stored(sizes, "sizes"), "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its score and the spans that offend."""
+    return abuse.score_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labelled_comments", "text", "label"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
+
+
+def p9_source_rates(spark: SparkSession, sf: str) -> DataFrame:
+    scored = stored(p9_scores(spark, sf).select("doc_id", "score"), "scores")
+    return abuse.rates(table(spark, sf, "documents", "doc_id", "source").join(scored, "doc_id"), "source")
+
+
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_scores": p9_scores, "p9_source_rates": p9_source_rates}
 
 ORACLE = {
     "p4_found": """
