@@ -70,19 +70,14 @@ def split_record(line: Column) -> Column:
     """
     parts = F.split(line, '"', -1)
     n = F.size(parts)
-    masked = F.transform(
-        parts,
-        lambda p, i: F.when(i % 2 == 1, F.translate(p, ",", _COMMA)).when((p == "") & (i > 0) & (i < n - 1), F.lit(_QUOTE)).otherwise(p),
-    )
-
-    def outside_ok(p: Column, i: Column) -> Column:
-        t = F.regexp_replace(p, r"\s+", "")
-        after = (i == 0) | F.when(i == n - 1, t == "").otherwise(F.lit(False)) | t.startswith(",")
-        before = (i == n - 1) | F.when(i == 0, t == "").otherwise(F.lit(False)) | t.endswith(",")
-        return (i % 2 == 1) | ((p == "") & (i > 0) & (i < n - 1)) | (after & before)
-
-    ok = (n % 2 == 1) & F.forall(F.transform(parts, outside_ok), lambda b: b)
-    fields = F.split(F.array_join(masked, ""), ",", -1)
+    # Lambdas see only their element and its place, so no line is split more than a few times, however long.
+    first, last, middle = parts[0], F.element_at(parts, -1), F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))
+    blank = lambda p: F.regexp_replace(p, r"\s+", "")
+    masked = F.transform(middle, lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", _COMMA)).when(p == "", F.lit(_QUOTE)).otherwise(p))
+    between = F.forall(F.transform(middle, lambda p, i: (i % 2 == 0) | (p == "") | (blank(p).startswith(",") & blank(p).endswith(","))), lambda ok: ok)
+    ends = ((blank(first) == "") | blank(first).endswith(",")) & ((blank(last) == "") | blank(last).startswith(","))
+    ok = (n == 1) | ((n % 2 == 1) & between & ends)
+    fields = F.split(F.when(n == 1, first).otherwise(F.concat(first, F.array_join(masked, ""), last)), ",", -1)
     trim = lambda f: F.regexp_replace(F.translate(f, _COMMA + _QUOTE, ',"'), r"^\s+|\s+$", "")
     return F.when(ok, F.transform(fields, trim))
 
