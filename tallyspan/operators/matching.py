@@ -13,15 +13,18 @@ def tiered_pair_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: s
 
     status: exact, near, ambiguous, unmatched, or duplicate if an earlier row (by ``order``) took the fact.
     """
-    near = facts.select(pair, F.col(fact_id).alias("_f"), F.col(day).alias("_d"))
-    j = rows.join(near, pair, "left").withColumn("_gap", F.abs(F.datediff(F.col(day), F.col("_d"))))
-    ok = F.col("_gap") <= slack
+    # A fact stands under each day that it may match, so the join is on (pair, day) and a frequent pair isn't
+    # compared with itself over all days.
+    offsets = F.explode(F.array(*(F.lit(k) for k in range(-slack, slack + 1))))
+    near = facts.select(pair, F.col(fact_id).alias("_f"), F.col(day).alias("_d"), offsets.alias("_k")).select(pair, "_f", F.date_add("_d", F.col("_k")).alias(day), F.abs("_k").alias("_gap"))
+    j = rows.join(near, [pair, day], "left")
+    ok = F.col("_gap").isNotNull()
     agg = j.groupBy(row_id).agg(
         F.first(order).alias("_o"),
         F.count_if(F.col("_gap") == 0).alias("_n0"),
         F.count_if(ok).alias("_n1"),
         F.min(F.when(F.col("_gap") == 0, F.col("_f"))).alias("_f0"),
-        F.min(F.when(ok, F.col("_f"))).alias("_f1"),
+        F.min("_f").alias("_f1"),
     )
     status = F.when(F.col("_n0") == 1, "exact").when(F.col("_n0") > 1, "ambiguous").when(F.col("_n1") == 1, "near").when(F.col("_n1") > 1, "ambiguous").otherwise("unmatched")
     hit = agg.withColumn("status", status).withColumn("_fact", F.when(F.col("status") == "exact", F.col("_f0")).when(F.col("status") == "near", F.col("_f1")))
@@ -32,10 +35,9 @@ def tiered_pair_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: s
 def two_tier_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: str, natural_id: str, pair: str, day: str) -> DataFrame:
     """By natural id, else by pair on day offsets 0, -1, +1 in this order: (row_id, fact_id, tier)."""
     by_id = rows.join(facts.select(natural_id, F.col(fact_id).alias("_a")).where(F.col(natural_id).isNotNull()).groupBy(natural_id).agg(F.min("_a").alias("_a")), natural_id, "left")
-    near = facts.select(pair, F.col(fact_id).alias("_b"), F.col(day).alias("_d"))
-    offset = F.datediff(F.col("_d"), F.col(day))
-    tier = F.when(offset == 0, 1).when(offset == -1, 2).when(offset == 1, 3)
-    pairs = rows.join(near, pair).withColumn("_tier", tier).where("_tier is not null").groupBy(row_id).agg(F.min(F.struct("_tier", "_b")).alias("_m"))
+    tiers = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in ((0, 1), (1, 2), (-1, 3)))))
+    near = facts.select(pair, F.col(fact_id).alias("_b"), F.col(day).alias("_d"), tiers.alias("_t")).select(pair, "_b", F.date_add("_d", F.col("_t.k")).alias(day), F.col("_t.t").alias("_tier"))
+    pairs = rows.join(near, [pair, day]).groupBy(row_id).agg(F.min(F.struct("_tier", "_b")).alias("_m"))
     return by_id.join(pairs, row_id, "left").select(row_id, F.coalesce("_a", "_m._b").alias(fact_id), F.when(F.col("_a").isNotNull(), 0).otherwise(F.col("_m._tier")).alias("tier"))
 
 
