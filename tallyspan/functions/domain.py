@@ -28,7 +28,7 @@ def result_method(result: Column, *, lenient: bool = False) -> Column:
         s = F.struct(F.lit(method).cast("string").alias("method"), F.lit(kind).cast("string").alias("decision_type"))
         out = F.when(key == text, s) if out is None else out.when(key == text, s)
     missing = F.lit(None).cast("struct<method:string,decision_type:string>")
-    return out.when(result.isNull(), missing) if lenient else out.when(result.isNull(), missing).otherwise(F.when(unknown_value("result", result).isNotNull(), missing))
+    return out.when(result.isNull(), missing) if lenient else out.when(result.isNull(), missing).otherwise(unknown_value("result", result, "struct<method:string,decision_type:string>"))
 
 
 def stance(c: Column) -> Column:

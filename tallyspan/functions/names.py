@@ -195,7 +195,7 @@ def _latin_table() -> tuple[str, str]:
     for cp in range(0xC0, 0x250):
         c = chr(cp).lower()
         base = SPECIAL_LETTERS.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c and base.isascii():
+        if len(c) == len(base) == 1 and base != c and base.isascii():
             pairs.append((c, base))
     pairs = list(dict.fromkeys(pairs))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
