@@ -26,8 +26,8 @@ from tallyspan.llm.tokenize import spread
 LABELS = ("none", "abusive", "hateful", "sexual")
 #: Hash buckets of features, sweeps and strength of training, labelled rows used at most.
 BUCKETS, SWEEPS, RIDGE, TRAIN_ROWS = 1 << 17, 120, 2e-4, 20_000
-#: Score from which a document counts as offending.
-THRESHOLD = 0.5
+#: Score from which a document counts as offending; benign sentences of held-out rows stay well below it.
+THRESHOLD = 0.25
 #: Sentences whose score a worker keeps.
 CACHED = 200_000
 
@@ -56,14 +56,14 @@ LEXICON_TEXT = {
     ungeziefer ratten tiere diebe parasiten kuche untermenschen abschaum affen schmarotzer
     крысы животные воры паразиты нелюди отбросы обезьяны кухня кухне тараканы сброд
     虫けら 害虫 劣等 ゴキブリ 寄生虫 猿""",
-    "group": """immigrants immigrant foreigners foreigner gays gay lesbians trans jews jew muslims muslim blacks whites women woman northerners southerners refugees migrants gypsies asians africans mexicans arabs christians disabled queers faggot faggots homos
+    "group": """immigrants immigrant foreigners foreigner gays gay lesbians trans jews jew muslims muslim blacks whites women woman girl girls chicks females wives northerners southerners refugees migrants gypsies asians africans mexicans arabs christians disabled queers faggot faggots homos
     mujeres mujer extranjeros inmigrantes gitanos negros moros judios musulmanes maricones refugiados
     mulher mulheres estrangeiros imigrantes negros judeus gays ciganos nordestinos refugiados
     femmes femme etrangers immigres arabes noirs juifs musulmans gitans pedes refugies
     frauen auslander fluchtlinge juden schwarze turken muslime zigeuner schwule migranten
     женщины бабы иностранцы мигранты евреи чурки геи приезжие цыгане баба
     外国人 移民 女 ゲイ 黒人 朝鮮人""",
-    "sexual": """sex nude nudes naked horny xxx porn porno penetration hardcore uncensored suck lick tits boobs cock dick cum orgasm blowjob fuck topless milf anal threesome moan erotic kinky fetish masturbate
+    "sexual": """sex hookup hookups oral dirty escort escorts fingering sexy seduce lust nipples panties undress nude nudes naked horny xxx porn porno penetration hardcore uncensored suck lick tits boobs cock dick cum orgasm blowjob fuck topless milf anal threesome moan erotic kinky fetish masturbate
     desnuda desnudas follar porno sexo chupar tetas coger culo polla cachonda cachondo censura caliente
     nudes pelada pelado foder porno sexo pornô chupar peitos bunda gostosa tesao transar safada
     baiser sexe porno sucer seins cul bite coquine salope niquer
@@ -342,7 +342,8 @@ def _labels(rows: list[tuple[list[tuple], str]]) -> list[list[int]]:
     for seqs, label in rows:
         (in_plain if label == "none" else in_bad).update({p for s in seqs for p in _pairs(s)})
     usual = {p for p, n in in_plain.items() if n >= 2 and n >= 0.4 * (n + in_bad[p])}
-    harmless = lambda s: sum(p in usual for p in _pairs(s)) >= 0.6 * len(_pairs(s))
+    at_home = lambda s: sum(p in usual for p in _pairs(s)) / len(_pairs(s))
+    harmless = lambda s: at_home(s) >= 0.6
     sure = {s for s, n in alone.items() if sum(n.values()) > plain[s] and not harmless(s)}
     # Nor does a wrongly plain row clear a sentence that has offending words and is otherwise in offending rows.
     bad = Counter(s for seqs, label in rows if label != "none" for s in set(seqs))
@@ -367,7 +368,7 @@ def _labels(rows: list[tuple[list[tuple], str]]) -> list[list[int]]:
                     row[i] = LABELS.index(alone[s].most_common(1)[0][0])
             if not any(row):
                 lone = [i for i, s in enumerate(seqs) if plain[s] == 0 and aside[s] == 0 and not harmless(s)]
-                lone = [i for i in lone if _suspect(seqs[i])] or lone
+                lone = [i for i in lone if _suspect(seqs[i])] or [i for i in lone if at_home(seqs[i]) < 0.3]
                 for i in lone:
                     row[i] = LABELS.index(label) if len(lone) == 1 else -1
         out.append(row)
