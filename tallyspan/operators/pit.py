@@ -33,6 +33,31 @@ def career(df: DataFrame, entity: str, day: str, **aggregates: Column) -> DataFr
     return df.withColumns({n: a.over(w) for n, a in aggregates.items()})
 
 
+def career_split(df: DataFrame, entity: str, day: str, *, sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, span_days: int = 90) -> DataFrame:
+    """`career` for sums and maxima where one entity may hold a great part of all rows.
+
+    An entity is cut into spans of days: aggregates of whole spans, combined before their shuffle, are summed up
+    over earlier spans, and only the rows of one span are windowed together. A count is the sum of 1; sums and
+    maxima of no row are null. Rows of a null entity or day see nothing earlier.
+    """
+    sums, highs = sums or {}, highs or {}
+    values = {f"_v_{n}": c for n, c in (sums | highs).items()}
+    base = df.withColumns(values | {"_span": F.floor(F.unix_date(day) / F.lit(span_days))})
+    kind = lambda n: F.sum if n in sums else F.max
+    whole = base.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(entity, "_span").agg(*(kind(n)(f"_v_{n}").alias(f"_w_{n}") for n in sums | highs))
+    earlier = Window.partitionBy(entity).orderBy("_span").rowsBetween(UNBOUNDED, -1)
+    before = whole.select(entity, "_span", *(kind(n)(f"_w_{n}").over(earlier).alias(f"_b_{n}") for n in sums | highs))
+    inside = Window.partitionBy(entity, "_span").orderBy(F.unix_date(day)).rangeBetween(UNBOUNDED, -1)
+    out = base.withColumns({f"_i_{n}": kind(n)(f"_v_{n}").over(inside) for n in sums | highs}).join(before, [entity, "_span"], "left")
+
+    def joined(n: str) -> Column:
+        a, b = F.col(f"_b_{n}"), F.col(f"_i_{n}")
+        both = F.coalesce(a + b, a, b) if n in sums else F.greatest(a, b)
+        return F.when(F.col(entity).isNotNull() & F.col(day).isNotNull(), both)
+
+    return out.select(*df.columns, *(joined(n).alias(n) for n in sums | highs))
+
+
 def trailing(df: DataFrame, entity: str, day: str, tie: str, n: int, **aggregates: Column) -> DataFrame:
     """Adds aggregates over the last ``n`` rows of earlier days. Rows without a value still use up a place."""
     last = _ordered(entity, day, tie).rowsBetween(-n, -1)

@@ -45,6 +45,13 @@ def pit_career_prior(spark, sf):
     return o.withColumn("days_since", pit.days_since_last("cust", "day")).select("id", "n_prior", "sum_prior", "max_prior", "days_since")
 
 
+@query(O + " SELECT id, (SELECT count(*) FROM o p WHERE p.cust = o.cust AND p.day < o.day)::BIGINT AS n_prior, (SELECT sum(cents) FROM o p WHERE p.cust = o.cust AND p.day < o.day)::BIGINT AS sum_prior, (SELECT max(cents) FROM o p WHERE p.cust = o.cust AND p.day < o.day)::BIGINT AS max_prior FROM o")
+def pit_career_split(spark, sf):
+    """The same for entities of any size, cut into spans of days."""
+    o = pit.career_split(_orders(spark, sf), "cust", "day", sums={"n": F.lit(1), "sum_prior": F.col("cents")}, highs={"max_prior": F.col("cents")})
+    return o.select("id", F.coalesce("n", F.lit(0)).alias("n_prior"), "sum_prior", "max_prior")
+
+
 def _last(n: int) -> str:
     return O + f" SELECT id, l.n::BIGINT AS n_last, l.s::BIGINT AS sum_last FROM o, LATERAL (SELECT count(*) AS n, sum(cents) AS s FROM (SELECT cents FROM o p WHERE p.cust = o.cust AND p.day < o.day ORDER BY p.day DESC, p.id DESC LIMIT {n})) l"
 

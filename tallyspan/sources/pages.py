@@ -187,6 +187,38 @@ def event_list(pages: DataFrame) -> DataFrame:
     return good.where(link.isNotNull()).select("url", text.strict_id(link).alias("event_id"), F.trim(F.regexp_replace(cell, r"[A-Z][a-z]+\.? \d{1,2}, \d{4}\s*$", "")).alias("name"), text.long_date(day).alias("event_date"), text.optional_text(F.col("record")["location"]).alias("location"))
 
 
+def event_bouts(pages: DataFrame) -> DataFrame:
+    """(url, place, fight_id, fighter_1_id, fighter_2_id, badge, weight_class, method, round, seconds) of event pages.
+
+    Sides come from the links, in page order; a row without two fighters' links gives no bout.
+    """
+    from tallyspan.functions import text
+
+    good, _ = checked_tables(page_tables(pages), "url", ["fighter", "weight class", "method", "round", "time"])
+    ids = F.transform(F.filter("links", lambda x: x.contains("/fighter-details/")), text.strict_id)
+    fight = F.try_element_at(F.filter("links", lambda x: x.contains("/fight-details/")), F.lit(1))
+    cell = lambda h: text.optional_text(F.col("record")[h])
+    bouts = good.where(F.size(ids) >= 2)
+    return bouts.select("url", F.col("row_no").alias("place"), text.strict_id(fight).alias("fight_id"), ids[0].alias("fighter_1_id"), ids[1].alias("fighter_2_id"), F.lower(F.try_element_at("record", F.lit("w/l"))).alias("badge"), cell("weight class").alias("weight_class"), cell("method").alias("method"), cell("round").try_cast("int").alias("round"), text.clock_seconds(cell("time")).alias("seconds"))
+
+
+def labelled_value(html: Column, label: str) -> Column:
+    """Text that follows ``label:`` on a page, tags aside; dashes and nothing are null."""
+    from tallyspan.functions import text
+
+    plain = F.regexp_replace(F.regexp_replace(html, r"</(li|p|div|tr|dd)>|<br\s*/?>", "\n"), r"<[^>]*>", " ")
+    return text.optional_text(F.regexp_extract(plain, rf"(?i)\b{label}\s*:\s*([^\n]*)", 1))
+
+
+def fighter_bio(pages: DataFrame) -> DataFrame:
+    """(url, fighter_id, height_cm, reach_cm, stance, dob): the bio only; career rates on the page aren't read, as
+    they know the future."""
+    from tallyspan.functions import text
+
+    h = F.col("html")
+    return pages.select("url", text.strict_id(F.col("url")).alias("fighter_id"), text.height_cm(labelled_value(h, "Height")).alias("height_cm"), text.inches_cm(labelled_value(h, "Reach")).alias("reach_cm"), labelled_value(h, "STANCE").alias("stance"), text.long_date(labelled_value(h, "DOB")).alias("dob"))
+
+
 def page_ids(html: Column) -> Column:
     """struct(article_id, revision_id) of the inline configuration of an article."""
     n = lambda key: F.regexp_extract(html, rf'"{key}":\s*(\d+)', 1).try_cast("long")

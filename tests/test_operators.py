@@ -29,6 +29,20 @@ def test_history_is_strictly_before(spark):
     assert career(spark, []) == {}
 
 
+def test_split_career_is_career(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), D + timedelta(rng.randrange(400)) if rng.random() < 0.95 else None, i, rng.choice([None, 1, 5, 9])) for i in range(300)]
+    d = spark.createDataFrame(rows, "e long, day date, id long, x long").where("e is not null and day is not null")
+    a = pit.career(d, "e", "day", n=F.sum(F.lit(1)), s=F.sum("x"), m=F.max("x"))
+    b = pit.career_split(d, "e", "day", sums={"n": F.lit(1), "s": F.col("x")}, highs={"m": F.col("x")}, span_days=30)
+    key = lambda z: sorted(((r.id, r.n, r.s, r.m) for r in z.collect()), key=lambda t: t[0])
+    assert [tuple(x) for x in key(a)] == [tuple(x) for x in key(b)]
+    odd = spark.createDataFrame([(None, D, 1, 1), (1, None, 2, 1)], "e long, day date, id long, x long")
+    assert {(r.s, r.m) for r in pit.career_split(odd, "e", "day", sums={"s": F.col("x")}, highs={"m": F.col("x")}).collect()} == {(None, None)}
+
+
 def test_streak_rules(spark):
     kinds = ["win", "win", "skip", "win", "stop", "win", "unknown", "win"]
     got = career(spark, [(1, D + timedelta(i), i, 0, k) for i, k in enumerate(kinds)] + [(1, D + timedelta(9), 9, 0, "win")])

@@ -128,3 +128,17 @@ def test_pages(spark, tmp_path):
     assert pages.crawl_delay("User-agent: *\nCrawl-delay: 5\nUser-agent: bot\nCrawl-delay: 0.5", "mybot") == 0.5
     with pytest.raises(ValueError):
         pages.json_strict({"a": float("nan")})
+
+
+def test_event_and_fighter_pages(spark):
+    a, b, f = "0123456789abcdef", "fedcba9876543210", "00112233445566aa"
+    event = f"""<table><tr><th>W/L</th><th>Fighter</th><th>Weight class</th><th>Method</th><th>Round</th><th>Time</th></tr>
+<tr><td><a href="http://x/fight-details/{f}">win</a></td><td><a href="http://x/fighter-details/{a}">Ana B</a><a href="http://x/fighter-details/{b}">Caio D</a></td><td>Flyweight</td><td>KO/TKO</td><td>2</td><td>4:05</td></tr>
+<tr><td></td><td>to be announced</td><td>--</td><td>--</td><td>--</td><td>--</td></tr></table>"""
+    bio = "<ul><li><i>Height:</i> 5' 11&quot;</li><li>Reach: --</li><li>STANCE: Southpaw</li><li>DOB: Jan. 5, 1990</li><li>SLpM: 3.1</li></ul>".replace("&quot;", '"')
+    d = spark.createDataFrame([("http://x/event-details/1", event)], "url string, html string")
+    (r,) = pages.event_bouts(d).collect()
+    assert tuple(r) == ("http://x/event-details/1", 1, f, a, b, "win", "Flyweight", "KO/TKO", 2, 245)
+    (x,) = pages.fighter_bio(spark.createDataFrame([(f"http://x/fighter-details/{a}", bio)], "url string, html string")).collect()
+    assert (x.fighter_id, x.height_cm, x.reach_cm, x.stance, x.dob) == (a, 180.34, None, "Southpaw", date(1990, 1, 5))
+    assert pages.is_block_page(F.lit("<p>Just a moment...")) is not None
