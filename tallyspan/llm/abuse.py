@@ -27,7 +27,7 @@ LABELS = ("none", "abusive", "hateful", "sexual")
 #: Hash buckets of features, sweeps and strength of training, labelled rows used at most.
 BUCKETS, SWEEPS, RIDGE, TRAIN_ROWS = 1 << 17, 120, 2e-4, 20_000
 #: Score from which a document counts as offending; benign sentences of held-out rows stay well below it.
-THRESHOLD = 0.25
+THRESHOLD = 0.17
 #: Sentences whose score a worker keeps.
 CACHED = 200_000
 
@@ -187,7 +187,7 @@ class Reader:
             else:
                 w, hidden = self.read(t)
                 if w:
-                    out.append((w, hidden, b, e, t[0].isupper()))
+                    out.append((w, hidden, b, e, t[0].isupper() and not t.isupper()))
             i += 1
         return out
 
@@ -238,10 +238,13 @@ def shape(words: list[tuple[str, bool, int, int, bool]], known: frozenset[str])
     return tuple(out)
 
 
-def features(seq: tuple[tuple[str, bool], ...]) -> np.ndarray:
-    """Hashed features of each token: (tokens, features)."""
+_GROUP = frozenset({"group"})
+
+
+def features(seq: tuple[tuple[str, bool], ...], groups: frozenset[str] = frozenset()) -> np.ndarray:
+    """Hashed features of each token: (tokens, features). ``groups`` are further names of groups of people."""
     words = ["<s>", "<s>", *(w for w, _ in seq), "</s>", "</s>"]
-    kinds = [LEXICON.get(w, frozenset()) for w in words]
+    kinds = [_GROUP if w in groups else LEXICON.get(w, frozenset()) for w in words]
     has = Counter(k for ks in kinds for k in ks)
     hidden = sum(h for _, h in seq)
     present = sorted(has)
@@ -290,6 +293,7 @@ class Model:
     trans: np.ndarray
     known: frozenset[str]
     suspects: dict[str, int]
+    groups: frozenset[str] = frozenset()
 
     def tag(self, seqs: list[tuple[tuple[str, bool], ...]]) -> list[np.ndarray]:
         """Chance of each token of lying in an offending span."""
@@ -300,7 +304,7 @@ class Model:
             lengths = np.array([len(seqs[i]) for i in part])
             scores = np.zeros((len(part), lengths.max(), len(LABELS)))
             for r, i in enumerate(part):
-                scores[r, : lengths[r]] = self.weights[features(seqs[i])].sum(1)
+                scores[r, : lengths[r]] = self.weights[features(seqs[i], self.groups)].sum(1)
             p, _, _ = marginals(scores, self.trans, lengths)
             for r, i in enumerate(part):
                 out[i] = 1 - p[r, : lengths[r], 0]
@@ -375,11 +379,28 @@ def _labels(rows: list[tuple[list[tuple], str]]) -> list[list[int]]:
     return out
 
 
-def _fit(seqs: list[tuple], labels: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+def _groups(rows: list[tuple[list[tuple], str]]) -> frozenset[str]:
+    """Words that stand in at least two of the places (word before, word after) where offending rows have a name of a
+    group from the word lists: names of groups that the lists lack."""
+    places: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for seqs, label in rows:
+        if label != "none":
+            for s in seqs:
+                words = [w for w, _ in s]
+                for a, w, b in zip(["<s>", *words], words, [*words[1:], "</s>"], strict=False):
+                    places[a, b].add(w)
+    shared: Counter = Counter()
+    for at, words in places.items():
+        if "</s>" not in at and any("group" in LEXICON.get(w, frozenset()) for w in words):
+            shared.update(w for w in words if w not in LEXICON and not w.startswith("<") and len(w) >= 4)
+    return frozenset(w for w, n in shared.items() if n >= 2)
+
+
+def _fit(seqs: list[tuple], labels: np.ndarray, sweeps: int, groups: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by full-batch Adam on the likelihood of the labelled tokens."""
     k = len(LABELS)
     lengths = np.array([len(s) for s in seqs])
-    feats = [features(s) for s in seqs]
+    feats = [features(s, groups) for s in seqs]
     flat, width = np.concatenate(feats), feats[0].shape[1]
     used, index = np.unique(flat, return_inverse=True)
     index = index.reshape(-1, width)
@@ -419,14 +440,17 @@ def train(rows: list[tuple[str | None, str | None]], sweeps: int = SWEEPS) -> Mo
     reader = Reader(lexicon, dict.fromkeys(LEXICON, 1))
     count: Counter = Counter()
     bad: Counter = Counter()
-    texts = []
+    proper: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for text, label in rows:
-        ws = {w for w, hidden, _, _, capital in reader.words(text) if not capital and not hidden and not w.isdigit() and not _WIDE.search(w)}
-        texts.append(ws)
+        read = [(w, capital) for w, hidden, _, _, capital in reader.words(text) if not hidden and not w.isdigit() and not _WIDE.search(w)]
+        ws = {w for w, capital in read if not capital}
+        proper[label == "none"].update({w for w, capital in read if capital})
         count.update(ws)
         if label != "none":
             bad.update(ws)
-    known = frozenset({w for w, n in count.items() if n >= 2} | lexicon)
+    # Capital words are names, which the model doesn't see, unless only offending rows have them, and several.
+    telling = {w for w, n in proper[False].items() if n >= 3 and not proper[True][w] and len(w) >= 4}
+    known = frozenset({w for w, n in count.items() if n >= 2} | telling | lexicon)
     suspects = {w: n for w, n in bad.items() if n >= 2 and n / count[w] > 0.8 and len(w) >= 4} | {w: 1 for w, ks in LEXICON.items() if ks & {"insult", "sexual", "dehuman", "threat"} and len(w) >= 3}
     reader = Reader(known, suspects)
     split = []
@@ -434,12 +458,13 @@ def train(rows: list[tuple[str | None, str | None]], sweeps: int = SWEEPS) -> Mo
         seqs = [s for b, e in sentences(text) if (s := shape(reader.words(text[b:e]), known))]
         split.append((seqs, label))
     labels = _labels(split)
+    groups = _groups(split)
     for again in range(2):
         pairs = [(s, y) for (seqs, _), ys in zip(split, labels, strict=True) for s, y in zip(seqs, ys, strict=True) if y >= 0 and len(s) <= 200]
         unique = Counter(pairs)
         chosen = [p for p, n in unique.items() for _ in range(min(n, 4))]
-        weights, trans = _fit([s for s, _ in chosen], np.array([y for _, y in chosen]), sweeps if again else sweeps // 3)
-        model = Model(weights, trans, known, suspects)
+        weights, trans = _fit([s for s, _ in chosen], np.array([y for _, y in chosen]), sweeps if again else sweeps // 3, groups)
+        model = Model(weights, trans, known, suspects, groups)
         if again:
             break
         # Rows whose offending sentence isn't clear take the one that the first model finds strongest.
