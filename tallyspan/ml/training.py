@@ -20,10 +20,9 @@ from tallyspan.functions.domain import accuracy, brier, log_loss
 
 def time_split(df: DataFrame, day: str, test_days: int = 365, val_days: int = 365) -> DataFrame:
     """Adds ``split``: the last ``test_days`` are test, the ``val_days`` before validation."""
-    last = df.agg(F.max(day).alias("_last"))
-    d = df.crossJoin(F.broadcast(last))  # one row
-    split = F.when(F.col(day) > F.date_sub("_last", test_days), "test").when(F.col(day) > F.date_sub("_last", test_days + val_days), "val").otherwise("train")
-    return d.withColumn("split", split).drop("_last")
+    last = df.agg(F.max(day)).scalar()
+    split = F.when(F.col(day) > F.date_sub(last, test_days), "test").when(F.col(day) > F.date_sub(last, test_days + val_days), "val").otherwise("train")
+    return df.withColumn("split", split)
 
 
 def assert_no_leak(df: DataFrame, day: str) -> None:

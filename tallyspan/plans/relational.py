@@ -365,7 +365,7 @@ def grouping_year(spark, sf):
 def class_priors(spark, sf):
     e = _events(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
     total = e.agg(F.sum("n").alias("t"))
-    return e.crossJoin(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("t"), 9).alias("prior"))  # one row of totals
+    return e.select("kind", "n", F.round(F.col("n") / total.scalar(), 9).alias("prior"))
 
 
 @query(E + ", x AS (SELECT usr, max(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) AS v, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS p FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE v = 1 AND p = 1)::BIGINT AS both_kinds, count(*) FILTER (WHERE v = 1 AND p = 0)::BIGINT AS only_view, count(*) FILTER (WHERE v = 0 AND p = 1)::BIGINT AS only_purchase FROM x")
@@ -527,7 +527,7 @@ def search_ranked_page(spark, sf):
     total = hits.agg(F.count("*").alias("total"))
     page = hits.orderBy(F.desc("exact"), F.desc("prefix"), "p_name", "p_partkey").offset(10).limit(20)
     n = table(spark, sf, "lineitem", "l_partkey").join(F.broadcast(page.select("p_partkey")), F.col("l_partkey") == F.col("p_partkey"), "left_semi").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_lines"))
-    return page.join(n, "p_partkey", "left").crossJoin(F.broadcast(total)).select("p_partkey", "p_name", "exact", "prefix", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "total")
+    return page.join(n, "p_partkey", "left").select("p_partkey", "p_name", "exact", "prefix", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), total.scalar().alias("total"))
 
 
 @query(O + " SELECT c_custkey AS cust, count(*) FILTER (WHERE status = 'F')::BIGINT AS wins, count(*) FILTER (WHERE status = 'O')::BIGINT AS losses, coalesce(string_agg(CASE WHEN rn <= 5 THEN id::VARCHAR END, ',' ORDER BY rn), '') AS last5 FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY day DESC, id DESC) AS rn FROM o) x ON x.cust = c_custkey GROUP BY 1")
@@ -630,7 +630,8 @@ def split_boundaries(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey", "o_orderdate")
     m = o.agg(F.max(F.to_date("o_orderdate")).alias("m"))
     d = F.to_date("o_orderdate")
-    return o.crossJoin(F.broadcast(m)).select(F.col("o_orderkey").alias("id"), F.when(d > F.date_sub("m", 365), "test").when(d > F.date_sub("m", 730), "val").otherwise("train").alias("split"), F.date_format("o_orderdate", "yyyyMMdd-HHmmss").alias("version"))
+    last = m.scalar()
+    return o.select(F.col("o_orderkey").alias("id"), F.when(d > F.date_sub(last, 365), "test").when(d > F.date_sub(last, 730), "val").otherwise("train").alias("split"), F.date_format("o_orderdate", "yyyyMMdd-HHmmss").alias("version"))
 
 
 # --- rate limits, windows ------------------------------------------------------------------------------------
