@@ -7,7 +7,7 @@ import importlib
 
 from tallyspan.session import get_session
 
-MODULES = ["tallyspan.plans.problems", "tallyspan.plans.relational", "tallyspan.plans.features"]
+MODULES = ["tallyspan.plans.problems", "tallyspan.plans.relational", "tallyspan.plans.features", "tallyspan.plans.streams"]
 
 
 def queries(extra: list[str]) -> dict:
