@@ -29,7 +29,7 @@ BUCKETS, SWEEPS, RIDGE, TRAIN_ROWS = 1 << 17, 120, 2e-4, 20_000
 #: Score from which a document counts as offending; benign sentences of held-out rows stay well below it.
 THRESHOLD = 0.17
 #: Sentences whose score a worker keeps.
-CACHED = 200_000
+CACHED = 50_000
 
 # General word lists in folded spelling, by kind.
 LEXICON_TEXT = {

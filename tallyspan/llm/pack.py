@@ -145,7 +145,7 @@ def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFrame:
     """(container_id, at, key, piece, begin, length): a place for every unit of every item.
 
-    ``key`` must be unique; items of null or no size need no place; only items longer than ``capacity`` are
+    Repeated rows and rows of a null key are items of their own; items of null or no size need no place; only items longer than ``capacity`` are
     cut. ``at`` is the place within the container, ``begin`` the place within the item. Ties are ordered by
     key and piece, so the result doesn't depend on partitioning. Other columns are left out; an empty table
     gives no row.
