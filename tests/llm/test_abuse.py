@@ -56,6 +56,7 @@ def test_frame(spark):
     out = a.score_documents(docs, labelled, "doc_id", "text")
     got = sorted((r.doc_id, r.score >= 0.5) for r in out.collect())
     assert got == [(1, True), (1, True), (2, False), (3, False), (4, False)]
+    assert a.score_documents(docs, labelled.limit(0), "doc_id", "text").where("score > 0.1").count() == 0
     assert a.score_documents(docs.limit(0), labelled, "doc_id", "text").count() == 0
     rates = {r.source: (r.documents, r.offending) for r in a.rates(docs.select("doc_id", "text", "score").withColumnRenamed("score", "source").join(out.select("doc_id", "score").distinct(), "doc_id"), "source").collect()}
     assert rates == {"x": (3, 2), None: (2, 0)}
