@@ -22,10 +22,10 @@ SUFFIXES = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "2", "
 GIVEN_NAMES = (
     "agnieszka aga", "aleksandr aleksander alexander alexandre alejandro alessandro alex aleks sacha sandro sasha shura xander", "aleksandra alexandra aleks alex ola sandra sasha",
     "andre andrew andrei andrey andreas andy dede", "anthony anton antonio antonie tony toni tonho toninho", "aylin ayla", "benjamin ben benny benji", "bjorn bjoern", "caio cayo", "chiara clara",
-    "christopher chris kit kris topher", "daniel dan danny dani danilo", "david dave davi davey", "dmitri dmitry dmitriy dimitri dima mitya", "edward ed eddie eddy ned ted teddy", "elizabeth beth betsy betty eliza elisabeth libby liz liza lizzie lizzy",
+    "christopher chris kit kris topher", "daniel dan danny dani danilo", "david dave davi davey", "dmitri dmitry dmitriy dimitri dima mitya", "edward ed eddie eddy ned ted teddy", "elizabeth beth betsy betty eliza elisabeth libby lis liz liza lizzie lizzy",
     "etienne stephane steve", "francisco chico cisco francis frank paco pancho kiko", "frederick fred freddie freddy fritz rick", "gabriela gabi gabriella gaby", "gregory greg gregor grisha", "guillermo billy guille memo will willy",
     "hye-jin hyejin", "ignacio iggy nacho", "ines agnes inez", "isabella bela bella belle isa isabel izzy", "ivan vanya vania", "jana janka", "jennifer jen jenna jenni jennie jenny", "jiri george jirka", "joao joaozinho", "jose josef joseph joe joey pepe ze zezinho", "karim kareem",
-    "katarzyna kasia kate katherine katie kathy", "kenji ken", "larissa lara lari", "leonardo leo leon", "louis lou luis", "luca lucas luka lukas luke", "lukasz lucas lukas luka luke", "magnus mans", "marcos marc marco marcus mark marquinhos", "marek mark", "margaret greta madge maggie marge margie meg meggie peg peggy", "matthew mat matt mateo matteo matthias matty",
+    "katarzyna kasia kate katherine katie kathy", "kenji ken", "larissa lara lari", "leonardo leo leon", "louis lou luis", "luca lucas luka lukas luke", "lukasz lucas lukas luka luke", "magnus mans", "marcos marc marco marcus mark marquinhos", "marek mark", "margaret greta madge maggie maggy marge margie meg meggie peg peggy", "matthew mat matt mateo matteo matthias matty",
     "maximilian max maxi maxim", "michael mick mickey mike mikey mikael michal", "mikhail michail mikhael misha mischa", "monica monika moni", "nadia nadja nadya nadezhda", "nicholas nic nick nicky nico nicolas nik nikolai niko", "nils niels", "patrick paddy pat patricio",
     "pawel paul pavel", "remi remy", "renato rene", "renee rene reni", "robert bob bobbie bobby rob robbie robby robin", "rustam rus", "samuel sam sammy", "sebastian bas seb", "sofia sophia sophie sonia sonya sofi", "soren soeren", "stefan stephan stephen steph stef steve steven stevie", "tatiana tanya tania tati",
     "theodore ted teddy theo", "thiago tiago thi", "thomas tom tommy tomas tomasz tomek", "tomas tom thomas tomek", "timothy tim timmy timo", "victoria tori vicki vicky vika viki", "vladimir vlad vladi volodya vova", "william bill billy liam wil will willie willy", "yuri iouri yura", "zachary zac zach zack zak", "zoe zoey",
@@ -57,7 +57,7 @@ def tokens(name: str) -> tuple[str, ...]:
     return tuple(t for t in _SPLIT.split(text) if t)
 
 
-_SOUNDS = (("ph", "f"), ("th", "t"), ("kh", "k"), ("ck", "k"), ("ks", "x"), ("sh", "s"), ("ch", "c"), ("ie", "i"), ("ye", "e"), ("y", "i"), ("j", "i"), ("w", "v"), ("q", "k"), ("c", "k"), ("z", "s"))
+_SOUNDS = (("ph", "f"), ("th", "t"), ("kh", "k"), ("ck", "k"), ("ks", "x"), ("sh", "s"), ("ch", "c"), ("ie", "i"), ("ye", "e"), ("y", "i"), ("ou", "u"), ("j", "i"), ("w", "v"), ("f", "v"), ("q", "k"), ("c", "k"), ("z", "s"))
 
 
 @lru_cache(maxsize=1 << 17)
@@ -161,6 +161,10 @@ def similarity(typed: str | None, held: str | None) -> float:
             s = token_similarity(x, cb[j])
             if s > best:
                 best, at = s, j
+        if at < 0 and len(x) >= 3:
+            # An unlisted short form of a given name at least begins alike.
+            at = next((j for j in left if j != family and cb[j][0] == x[0]), -1)
+            best = 0.5
         if at >= 0:
             left.remove(at)
             got += best
