@@ -44,15 +44,17 @@ def two_tier_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: str,
 def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame, activity: DataFrame, *, slack: int = 60) -> DataFrame:
     """(row_id, entity, status) of names: unique normalised name, then source-scoped alias, then activity.
 
-    ``names``: row_id, source, name, day; ``entities``: entity, name; ``aliases``: source, alias, entity;
-    ``activity``: entity, first_day, last_day. A name held by several is narrowed to those active within ``slack``
-    days; exactly one left is ``disambiguated``, otherwise ``ambiguous``. The primary name beats an alias.
+    ``names``: row_id, source, name, day, weight_class; ``entities``: entity, name; ``aliases``: source, alias,
+    entity; ``activity``: entity, weight_class, first_day, last_day. A name held by several is narrowed to those
+    active (in any class) within ``slack`` days, if the day is known, and ever active in the class, if that is known;
+    exactly one left is ``disambiguated``, otherwise ``ambiguous``. The primary name beats an alias.
     """
     keyed = names.withColumn("_k", fold_column(F.col("name"))).where("_k <> ''")
     held = entities.withColumn("_k", fold_column(F.col("name"))).select("_k", "entity").distinct()
-    spans = activity.select("entity", "first_day", "last_day")
+    spans = activity.groupBy("entity").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.collect_set("weight_class").alias("_classes"))
     j = keyed.join(held, "_k", "left").join(spans, "entity", "left")
-    active = F.col("day").between(F.date_sub("first_day", slack), F.date_add("last_day", slack))
+    on_day = F.col("day").isNull() | F.coalesce(F.col("day").between(F.date_sub("first_day", slack), F.date_add("last_day", slack)), F.lit(False))
+    active = on_day & (F.col("weight_class").isNull() | F.coalesce(F.array_contains("_classes", F.col("weight_class")), F.lit(False)))
     by_name = j.groupBy("row_id").agg(F.count("entity").alias("_n"), F.min("entity").alias("_one"), F.count_if(active & F.col("entity").isNotNull()).alias("_na"), F.min(F.when(active, F.col("entity"))).alias("_act"))
     known = aliases.withColumn("_k", fold_column(F.col("alias"))).groupBy("source", "_k").agg(F.min("entity").alias("_alias"), F.countDistinct("entity").alias("_an"))
     full = keyed.select("row_id", "source", "_k").join(by_name, "row_id").join(known.where("_an = 1"), ["source", "_k"], "left")

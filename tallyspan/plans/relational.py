@@ -508,12 +508,16 @@ def fuzzy_name_pairs(spark, sf):
 
 @query()
 def name_resolution_status(spark, sf):
-    md = table(spark, sf, "mdabbert_rows", "row_id", "red_name", "bout_date").select(F.col("row_id"), F.lit("mdabbert").alias("source"), F.col("red_name").alias("name"), F.col("bout_date").alias("day"))
+    """Both corners of typed bout rows: row_id, corner, entity, status."""
+    corner = F.explode(F.array(*(F.struct(F.lit(c).alias("corner"), F.col(f"{c}_name").alias("name")) for c in ("red", "blue"))))
+    md = table(spark, sf, "mdabbert_rows", "row_id", "red_name", "blue_name", "bout_date", "weight_class").select("row_id", "bout_date", "weight_class", corner.alias("c"))
+    md = md.select(F.struct("row_id", "c.corner").alias("row_id"), F.lit("mdabbert").alias("source"), "c.name", F.col("bout_date").alias("day"), "weight_class")
     people = table(spark, sf, "fighters", "id", "name", "ufcstats_id")
     al = table(spark, sf, "aliases", "source", "alias", "ufcstats_id").join(people.select("ufcstats_id", F.col("id").alias("entity")), "ufcstats_id")
     e = table(spark, sf, "fight_events", "id", "event_date").select(F.col("id").alias("event_id"), "event_date")
-    act = sides.explode_sides(table(spark, sf, "fights", "event_id", "fighter_a_id", "fighter_b_id"), "fighter_a_id", "fighter_b_id").join(e, "event_id").groupBy("entity").agg(F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
-    return matching.resolve_names(md, people.select(F.col("id").alias("entity"), "name"), al, act)
+    act = sides.explode_sides(table(spark, sf, "fights", "event_id", "weight_class", "fighter_a_id", "fighter_b_id"), "fighter_a_id", "fighter_b_id").join(e, "event_id").groupBy("entity", "weight_class").agg(F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
+    done = matching.resolve_names(md, people.select(F.col("id").alias("entity"), "name"), al, act)
+    return done.select("row_id.row_id", "row_id.corner", "entity", "status")
 
 
 # --- sort, limit, paging, sets -------------------------------------------------------------------------------

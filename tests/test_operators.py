@@ -111,6 +111,16 @@ def test_edits_and_duplicates(spark):
     assert not any(6 in k for k in got)
 
 
+def test_namesakes_by_class(spark):
+    names = [(1, D, "Fly"), (2, D, "Middle"), (3, None, "Fly"), (4, D, None), (5, None, None), (6, D + timedelta(999), "Fly"), (7, D, "Heavy")]
+    n = spark.createDataFrame([(i, "s", "Bo Li", d, c) for i, d, c in names], "row_id long, source string, name string, day date, weight_class string")
+    act = spark.createDataFrame([(10, "Fly", D, D), (11, "Middle", D, D)], "entity long, weight_class string, first_day date, last_day date")
+    people = spark.createDataFrame([(10, "Bo Li"), (11, "Bo Li"), (12, "Bo Li")], "entity long, name string")
+    got = {r.row_id: (r.entity, r.status) for r in matching.resolve_names(n, people, spark.createDataFrame([], "source string, alias string, entity long"), act).collect()}
+    none = (None, "ambiguous")
+    assert got == {1: (10, "disambiguated"), 2: (11, "disambiguated"), 3: (10, "disambiguated"), 4: none, 5: none, 6: none, 7: none}
+
+
 def test_sides(spark):
     d = spark.createDataFrame([(1, 10, 20), (2, None, 30)], "id long, a long, b long")
     assert sorted((r.id, r.entity, r.opponent) for r in sides.explode_sides(d, "a", "b").collect()) == [(1, 10, 20), (1, 20, 10), (2, 30, None)]
