@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions.names import fold_column, similarity
+from tallyspan.operators.identity import ratio
 
 
 def tiered_pair_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: str, pair: str, day: str, order: str, slack: int = 1) -> DataFrame:
@@ -74,12 +76,40 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (a != b) & ((F.levenshtein(a, b) == 1) | F.coalesce(swap, F.lit(False)))
 
 
+def _pieces(n: str) -> list[str]:
+    """A name in 1 + 2/9 of its length pieces: a longer name with a ratio of 0.9 has one of them unchanged."""
+    k = 2 * len(n) // 9 + 1
+    return [f"{len(n)}|{i}|{n[len(n) * i // k : len(n) * (i + 1) // k]}" for i in range(k)]
+
+
+def _piece_places(n: str) -> list[str]:
+    """The pieces that names as long or shorter may share with this one, within the shifts that the ratio allows."""
+    out = set()
+    for size in range(-(-9 * len(n) // 11), len(n) + 1):
+        k, more = 2 * size // 9, len(n) - size
+        for i in range(k + 1):
+            at, end = size * i // (k + 1), size * (i + 1) // (k + 1)
+            for s in range(-max(0, (k - more) // 2), (k + more) // 2 + 1):
+                if at + s >= 0 and end + s <= len(n):
+                    out.add(f"{size}|{i}|{n[at + s : end + s]}")
+    return sorted(out)
+
+
 def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
     """(left, right, rule) of names that may be one person, by ordered rules over blocking keys.
 
-    Rules: same_words, same_letters, one_edit, subset, surname_initial. Blocks are the sorted words, the sorted
-    letters, each word with one letter left out, and surname with initial; nobody is compared outside a block.
+    Rules: same_words, same_letters, one_edit, subset, surname_initial, similar (a ratio of 0.9 in either order). Blocks
+    are the sorted words, the sorted letters, the glued name with one letter left out, surname with initial, a name's
+    rarest word among the words of others (subset), and pieces of the name (similar): no pair of a rule is left out.
     """
+    @F.pandas_udf("array<string>")
+    def pieces(s: pd.Series) -> pd.Series:
+        return s.map(_pieces)
+
+    @F.pandas_udf("array<string>")
+    def places(s: pd.Series) -> pd.Series:
+        return s.map(_piece_places)
+
     p = people.select(F.col(key).alias("id"), fold_column(F.col(name)).alias("n")).where("n <> ''").withColumn("w", F.array_sort(F.split("n", " ")))
     glued = F.replace("n", F.lit(" "), F.lit(""))
     letters = F.array_join(F.array_sort(F.split(glued, "")), "")
@@ -88,16 +118,27 @@ def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("w"), F.array_join("w", " ")), F.concat(F.lit("l"), letters), F.concat(F.lit("i"), head, last), F.concat(F.lit("e"), glued)), cuts))
     b = p.withColumns({"g": glued, "l": letters, "k": keys}).select("id", "n", "w", "g", "l", F.explode("k").alias("k"))
     x, y = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns)), b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    pairs = x.join(y, (F.col("a_k") == F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).drop("a_k", "b_k").distinct()
+    blocked = x.join(y, (F.col("a_k") == F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
+    word = p.select("id", F.explode(F.array_distinct("w")).alias("k"))
+    rarest = word.join(word.groupBy("k").count(), "k").groupBy("id").agg(F.min(F.struct("count", "k"))["k"].alias("k"))
+    near = p.select("id", F.explode(pieces("n")).alias("k")), p.select("id", F.explode(places("n")).alias("k"))
+    for left, right in ((rarest, word), near):
+        met = left.join(right.withColumnRenamed("id", "other"), "k").where(F.col("id") != F.col("other"))
+        blocked = blocked.unionByName(met.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")))
+    whole = b.drop("k").distinct()
+    side = lambda s: whole.select(*(F.col(c).alias(f"{s}_{c}") for c in whole.columns))
+    pairs = blocked.distinct().join(side("a"), "a_id").join(side("b"), "b_id")
     subset = (F.size(F.array_except("a_w", "b_w")) == 0) | (F.size(F.array_except("b_w", "a_w")) == 0)
     initial = (F.element_at(F.split("a_n", " "), -1) == F.element_at(F.split("b_n", " "), -1)) & (F.substring("a_n", 1, 1) == F.substring("b_n", 1, 1))
     rule = F.when(F.col("a_w") == F.col("b_w"), "same_words").when(F.col("a_l") == F.col("b_l"), "same_letters").when(within_one_edit(F.col("a_g"), F.col("b_g")), "one_edit").when(subset, "subset").when(initial, "surname_initial")
-    return pairs.withColumn("rule", rule).where("rule is not null").select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), "rule")
+    ruled = pairs.withColumn("rule", rule)
+    like = ruled.where(F.col("rule").isNull() & (F.levenshtein("a_n", "b_n") * 10 <= F.length("a_n") + F.length("b_n")))
+    like = like.where(F.greatest(ratio(F.col("a_n"), F.col("b_n")), ratio(F.col("b_n"), F.col("a_n"))) >= 0.9).withColumn("rule", F.lit("similar"))
+    return ruled.where("rule is not null").unionByName(like).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), "rule")
 
 
 def best_similarity(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
     """Adds the similarity of two name columns; an Arrow function, each distinct pair is compared once."""
-    import pandas as pd
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())

@@ -111,6 +111,27 @@ def test_edits_and_duplicates(spark):
     assert not any(6 in k for k in got)
 
 
+def test_duplicates_are_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    base = ["michelle waterson", "michelle waterson gomez", "mizuki inoue", "mizuki", "aleksandra albukova petrov", "xaleksandra albukova petro"]
+    for n in base[:1] + base[4:5]:
+        for _ in range(15):
+            t = list(n)
+            for _ in range(rng.randint(1, 3)):
+                t[rng.randrange(len(t))] = rng.choice(["", "z", "qa"])
+            base.append("".join(t).strip())
+    names = dict(enumerate(" ".join(n.split()) for n in base))
+    got = {(r.left_id, r.right_id): r.rule for r in matching.duplicate_pairs(spark.createDataFrame(list(names.items()), "id long, name string"), "id", "name").collect()}
+    assert got[0, 1] == got[2, 3] == "subset"
+    for i, a in names.items():
+        for j, b in names.items():
+            if i < j and (set(a.split()) <= set(b.split()) or set(b.split()) <= set(a.split()) or max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.9):
+                assert (i, j) in got, (a, b)
+
+
 def test_namesakes_by_class(spark):
     names = [(1, D, "Fly"), (2, D, "Middle"), (3, None, "Fly"), (4, D, None), (5, None, None), (6, D + timedelta(999), "Fly"), (7, D, "Heavy")]
     n = spark.createDataFrame([(i, "s", "Bo Li", d, c) for i, d, c in names], "row_id long, source string, name string, day date, weight_class string")
