@@ -1,6 +1,6 @@
 """Streams over the events table, run to their end; batch SQL is their oracle.
 
-Memory sinks keep results on the driver, which suits checks; in production the same frames go to a table sink.
+Results go to tables in the shared folder; the driver holds no rows of them.
 """
 
 from __future__ import annotations
@@ -22,12 +22,20 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    spark, name = df.sparkSession, f"s{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    """The result of a stream that ran to its end: all batches of an append stream, the last one of a complete stream."""
+    spark, at = df.sparkSession, f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is tried again overwrites what it left.
+        batch.write.mode("overwrite").parquet(path := f"{at}/rows/{number}")
+        written[:] = [path] if mode == "complete" else [*(p for p in written if p != path), path]
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(*written) if written else spark.createDataFrame([], df.schema)
 
 
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:

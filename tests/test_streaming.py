@@ -74,3 +74,12 @@ def test_penalise():
 def test_null_keys(spark, bad):
     d = spark.createDataFrame([(bad, 1, 1.0)], "k string, i long, t double")
     assert limits.token_bucket(d, "k", "t", "i", [(1, 1)]).count() == 0
+
+
+def test_streams_leave_no_rows_on_the_driver(spark):
+    """Results of streams are read from files, not from a table in the driver's memory."""
+    from tallyspan.plans import streams
+
+    for name, query in streams.QUERIES.items():
+        out = query(spark, "/root/testdata/sf0.001")
+        assert out.inputFiles() and not out.isEmpty(), name
