@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions.names import fold_column, similarity
 from tallyspan.operators.identity import ratio
+from tallyspan.session import stored
 
 
 def tiered_pair_match(rows: DataFrame, facts: DataFrame, row_id: str, fact_id: str, pair: str, day: str, order: str, slack: int = 1) -> DataFrame:
@@ -118,21 +119,23 @@ def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("w"), F.array_join("w", " ")), F.concat(F.lit("l"), letters), F.concat(F.lit("i"), head, last), F.concat(F.lit("e"), glued)), cuts))
     b = p.withColumns({"g": glued, "l": letters, "k": keys}).select("id", "n", "w", "g", "l", F.explode("k").alias("k"))
     x, y = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns)), b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    blocked = x.join(y, (F.col("a_k") == F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
+    # Spark takes exploded keys to be as small as the names and would broadcast them; merge joins keep them off the driver.
+    blocked = x.join(y.hint("merge"), (F.col("a_k") == F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
     word = p.select("id", F.explode(F.array_distinct("w")).alias("k"))
-    rarest = word.join(word.groupBy("k").count(), "k").groupBy("id").agg(F.min(F.struct("count", "k"))["k"].alias("k"))
+    rarest = word.join(word.groupBy("k").count().hint("merge"), "k").groupBy("id").agg(F.min(F.struct("count", "k"))["k"].alias("k"))
     near = p.select("id", F.explode(pieces("n")).alias("k")), p.select("id", F.explode(places("n")).alias("k"))
     for left, right in ((rarest, word), near):
-        met = left.join(right.withColumnRenamed("id", "other"), "k").where(F.col("id") != F.col("other"))
+        met = left.join(right.withColumnRenamed("id", "other").hint("merge"), "k").where(F.col("id") != F.col("other"))
         blocked = blocked.unionByName(met.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")))
-    whole = b.drop("k").distinct()
+    whole = p.select("id", "n", "w", glued.alias("g"), letters.alias("l")).distinct()
     side = lambda s: whole.select(*(F.col(c).alias(f"{s}_{c}") for c in whole.columns))
-    pairs = blocked.distinct().join(side("a"), "a_id").join(side("b"), "b_id")
+    pairs = blocked.distinct().join(side("a").hint("merge"), "a_id").join(side("b").hint("merge"), "b_id")
     subset = (F.size(F.array_except("a_w", "b_w")) == 0) | (F.size(F.array_except("b_w", "a_w")) == 0)
     initial = (F.element_at(F.split("a_n", " "), -1) == F.element_at(F.split("b_n", " "), -1)) & (F.substring("a_n", 1, 1) == F.substring("b_n", 1, 1))
     rule = F.when(F.col("a_w") == F.col("b_w"), "same_words").when(F.col("a_l") == F.col("b_l"), "same_letters").when(within_one_edit(F.col("a_g"), F.col("b_g")), "one_edit").when(subset, "subset").when(initial, "surname_initial")
-    ruled = pairs.withColumn("rule", rule)
-    like = ruled.where(F.col("rule").isNull() & (F.levenshtein("a_n", "b_n") * 10 <= F.length("a_n") + F.length("b_n")))
+    near_enough = F.levenshtein("a_n", "b_n") * 10 <= F.length("a_n") + F.length("b_n")
+    ruled = stored(pairs.withColumn("rule", rule).where(F.col("rule").isNotNull() | near_enough).select("a_id", "b_id", "a_n", "b_n", "rule"), "ruled")
+    like = ruled.where("rule is null")
     like = like.where(F.greatest(ratio(F.col("a_n"), F.col("b_n")), ratio(F.col("b_n"), F.col("a_n"))) >= 0.9).withColumn("rule", F.lit("similar"))
     return ruled.where("rule is not null").unionByName(like).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), "rule")
 

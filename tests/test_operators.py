@@ -145,3 +145,13 @@ def test_namesakes_by_class(spark):
 def test_sides(spark):
     d = spark.createDataFrame([(1, 10, 20), (2, None, 30)], "id long, a long, b long")
     assert sorted((r.id, r.entity, r.opponent) for r in sides.explode_sides(d, "a", "b").collect()) == [(1, 10, 20), (1, 20, 10), (2, 30, None)]
+
+
+def test_duplicates_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Exploded keys, which Spark's estimate takes to be small, stay off the driver."""
+    plans = []
+    plan = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or d
+    monkeypatch.setattr(matching, "stored", lambda d, name: plan(d), raising=False)
+    spark.createDataFrame([(1, "Ana Souza"), (2, "Ana Sousa")], "id long, name string").write.parquet(str(tmp_path / "people"))
+    plan(matching.duplicate_pairs(spark.read.parquet(str(tmp_path / "people")), "id", "name"))
+    assert plans and not any("Broadcast" in x for x in plans)
