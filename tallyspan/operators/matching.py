@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.functions.names import fold_column, similarity
+from tallyspan.functions.names import fold_column, letters, similarity
 from tallyspan.operators.identity import ratio
 from tallyspan.session import stored
 
@@ -77,23 +77,32 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (a != b) & ((F.levenshtein(a, b) == 1) | F.coalesce(swap, F.lit(False)))
 
 
+def _indels(a: int, b: int) -> tuple[int, int]:
+    """Letters left out of and put into a name of ``a`` letters at most, to get one of ``b``, no fewer, with a ratio of 0.9."""
+    out = ((a + b) // 10 - (b - a)) // 2
+    return out, out + b - a
+
+
 def _pieces(n: str) -> list[str]:
-    """A name in 1 + 2/9 of its length pieces: a longer name with a ratio of 0.9 has one of them unchanged."""
-    k = 2 * len(n) // 9 + 1
-    return [f"{len(n)}|{i}|{n[len(n) * i // k : len(n) * (i + 1) // k]}" for i in range(k)]
+    """For each length that a name as long or longer may have: this one in pieces, one of which is unchanged in such a name."""
+    keys = []
+    for size in range(len(n), 11 * len(n) // 9 + 1):
+        out, put = _indels(len(n), size)
+        k = out + put + 1
+        keys += [f"{len(n)}|{size}|{i}|{n[len(n) * i // k : len(n) * (i + 1) // k]}" for i in range(k if out >= 0 and k > 1 else 0)]
+    return keys
 
 
 def _piece_places(n: str) -> list[str]:
     """The pieces that names as long or shorter may share with this one, within the shifts that the ratio allows."""
-    out = set()
+    keys = set()
     for size in range(-(-9 * len(n) // 11), len(n) + 1):
-        k, more = 2 * size // 9, len(n) - size
-        for i in range(k + 1):
-            at, end = size * i // (k + 1), size * (i + 1) // (k + 1)
-            for s in range(-max(0, (k - more) // 2), (k + more) // 2 + 1):
-                if at + s >= 0 and end + s <= len(n):
-                    out.add(f"{size}|{i}|{n[at + s : end + s]}")
-    return sorted(out)
+        out, put = _indels(size, len(n))
+        k = out + put + 1
+        for i in range(k if out >= 0 and k > 1 else 0):
+            at, end = size * i // k, size * (i + 1) // k
+            keys.update(f"{size}|{len(n)}|{i}|{n[at + s : end + s]}" for s in range(-out, put + 1) if at + s >= 0 and end + s <= len(n))
+    return sorted(keys)
 
 
 def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
@@ -101,7 +110,7 @@ def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
 
     Rules: same_words, same_letters, one_edit, subset, surname_initial, similar (a ratio of 0.9 in either order). Blocks
     are the sorted words, the sorted letters, the glued name with one letter left out, surname with initial, a name's
-    rarest word among the words of others (subset), and pieces of the name (similar): no pair of a rule is left out.
+    rarest word among the words of others (subset), and pieces of the name (similar; by lengths, with letters that fit): no pair of a rule is left out.
     """
     @F.pandas_udf("array<string>")
     def pieces(s: pd.Series) -> pd.Series:
@@ -111,25 +120,38 @@ def duplicate_pairs(people: DataFrame, key: str, name: str) -> DataFrame:
     def places(s: pd.Series) -> pd.Series:
         return s.map(_piece_places)
 
-    p = people.select(F.col(key).alias("id"), fold_column(F.col(name)).alias("n")).where("n <> ''").withColumn("w", F.array_sort(F.split("n", " ")))
-    glued = F.replace("n", F.lit(" "), F.lit(""))
-    letters = F.array_join(F.array_sort(F.split(glued, "")), "")
-    last, head = F.element_at(F.split("n", " "), -1), F.substring("n", 1, 1)
-    cuts = F.transform(F.sequence(F.lit(1), F.length(glued)), lambda i: F.concat(F.lit("e"), F.substr(glued, F.lit(1), i - 1), F.substr(glued, i + 1)))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("w"), F.array_join("w", " ")), F.concat(F.lit("l"), letters), F.concat(F.lit("i"), head, last), F.concat(F.lit("e"), glued)), cuts))
-    b = p.withColumns({"g": glued, "l": letters, "k": keys}).select("id", "n", "w", "g", "l", F.explode("k").alias("k"))
-    x, y = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns)), b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    @F.pandas_udf("long")
+    def bits(s: pd.Series) -> pd.Series:
+        return s.map(letters).astype("uint64").astype("int64")
+
+    p = people.select(F.col(key).alias("id"), fold_column(F.col(name)).alias("n")).where("n <> ''")
+    words = lambda n: F.array_sort(F.split(n, " "))
+    glued = lambda n: F.replace(n, F.lit(" "), F.lit(""))
+    sorted_letters = lambda n: F.array_join(F.array_sort(F.split(glued(n), "")), "")
+    # Keys are shuffled as hashes; what meets by chance fits no rule.
+    hashed = lambda keys: F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("k")
+    n, g = F.col("n"), glued("n")
+    last, head = F.element_at(F.split(n, " "), -1), F.substring(n, 1, 1)
+    cuts = F.transform(F.sequence(F.lit(1), F.length(g)), lambda i: F.concat(F.lit("e"), F.substr(g, F.lit(1), i - 1), F.substr(g, i + 1)))
+    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("w"), F.array_join(words(n), " ")), F.concat(F.lit("l"), sorted_letters(n)), F.concat(F.lit("i"), head, last), F.concat(F.lit("e"), g)), cuts))
+    b = p.select("id", hashed(keys))
     # Spark takes exploded keys to be as small as the names and would broadcast them; merge joins keep them off the driver.
-    blocked = x.join(y.hint("merge"), (F.col("a_k") == F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
-    word = p.select("id", F.explode(F.array_distinct("w")).alias("k"))
+    merged = lambda x, y: x.join(y.withColumnsRenamed({c: f"_{c}" for c in y.columns if c != "k"}).hint("merge"), "k")
+    blocked = merged(b, b).where("id < _id").select(F.col("id").alias("a_id"), F.col("_id").alias("b_id"))
+    word = p.select("id", F.explode(F.array_distinct(words(n))).alias("k"))
     rarest = word.join(word.groupBy("k").count().hint("merge"), "k").groupBy("id").agg(F.min(F.struct("count", "k"))["k"].alias("k"))
-    near = p.select("id", F.explode(pieces("n")).alias("k")), p.select("id", F.explode(places("n")).alias("k"))
-    for left, right in ((rarest, word), near):
-        met = left.join(right.withColumnRenamed("id", "other").hint("merge"), "k").where(F.col("id") != F.col("other"))
-        blocked = blocked.unionByName(met.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")))
-    whole = p.select("id", "n", "w", glued.alias("g"), letters.alias("l")).distinct()
+    # Pieces of given names are shared by a share of all names, whose pairs grow with the square; the letters tell most apart where
+    # they meet, before anything is shuffled.
+    sized = p.select("id", "n", F.length("n").alias("size"), bits("n").alias("bits"))
+    near = merged(*(sized.select("id", "size", "bits", hashed(f("n"))) for f in (pieces, places)))
+    lost, more = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("_bits"))), F.bit_count(F.col("_bits").bitwiseAND(F.bitwise_not("bits")))
+    near = near.where(lost + more <= F.floor((F.col("size") + F.col("_size")) / 10)).where((lost <= F.floor((F.floor((F.col("size") + F.col("_size")) / 10) - F.col("_size") + F.col("size")) / 2)))
+    for met in (merged(rarest, word), near):
+        blocked = blocked.unionByName(met.where("id <> _id").select(F.least("id", "_id").alias("a_id"), F.greatest("id", "_id").alias("b_id")))
+    whole = p.distinct()
     side = lambda s: whole.select(*(F.col(c).alias(f"{s}_{c}") for c in whole.columns))
     pairs = blocked.distinct().join(side("a").hint("merge"), "a_id").join(side("b").hint("merge"), "b_id")
+    pairs = pairs.withColumns({f"{s}_{c}": f(f"{s}_n") for s in "ab" for c, f in (("w", words), ("g", glued), ("l", sorted_letters))})
     subset = (F.size(F.array_except("a_w", "b_w")) == 0) | (F.size(F.array_except("b_w", "a_w")) == 0)
     initial = (F.element_at(F.split("a_n", " "), -1) == F.element_at(F.split("b_n", " "), -1)) & (F.substring("a_n", 1, 1) == F.substring("b_n", 1, 1))
     rule = F.when(F.col("a_w") == F.col("b_w"), "same_words").when(F.col("a_l") == F.col("b_l"), "same_letters").when(within_one_edit(F.col("a_g"), F.col("b_g")), "one_edit").when(subset, "subset").when(initial, "surname_initial")

@@ -155,3 +155,21 @@ def test_duplicates_are_not_broadcast(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(1, "Ana Souza"), (2, "Ana Sousa")], "id long, name string").write.parquet(str(tmp_path / "people"))
     plan(matching.duplicate_pairs(spark.read.parquet(str(tmp_path / "people")), "id", "name"))
     assert plans and not any("Broadcast" in x for x in plans)
+
+
+def test_duplicates_met_by_given_names(spark, monkeypatch):
+    """Names with nothing but a given name in common are told apart before they are shuffled as pairs; close ones stay, whatever their lengths."""
+    from difflib import SequenceMatcher
+
+    shuffled = []
+    distinct = type(spark.range(1)).distinct
+    monkeypatch.setattr(type(spark.range(1)), "distinct", lambda d: shuffled.append(d) or distinct(d))
+    families = "kerseltig mendalquor harkellund tomsevarre pebourmovi zatethinho lomnovitch gashoulhar wettulliss trasouland bradfexumi cynjopdawo".split()
+    base = [f"aleksandra {x}" for x in families]
+    close = [base[0][:-1] + "x", base[1] + "s", base[2] + "es", base[3].replace("tom", "tmo"), base[4].replace("eb", ""), "maria " + base[5], "maria " + base[5].replace("za", "zu"), "maria " + base[5] + "rt"]
+    names = dict(enumerate(base + close))
+    got = {(r.left_id, r.right_id) for r in matching.duplicate_pairs(spark.createDataFrame(list(names.items()), "id long, name string"), "id", "name").collect()}
+    alike = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.9
+    assert {(i, j) for i in names for j in names if i < j and alike(names[i], names[j])} <= got
+    blocked = next(d for d in shuffled if set(d.columns) == {"a_id", "b_id"})
+    assert distinct(blocked).count() < len(names) * (len(names) - 1) / 8
